@@ -46,27 +46,28 @@ from memloom.sources.tables import counted, norm_type
 
 NUM, DEN = 3, 5
 #: Rows of the sample for company and plan costs.
-SAMPLE = 20_000
+SAMPLE = 15_000
 #: Words in this share of records or more are looked at for company; at most mean set size / FREQUENT words.
 FREQUENT = 0.002
 COMMON = 0.05
 #: Subsets that a record may emit per partition; wider records take the single-word way.
 MAX_SUBSETS = 400
 EXPAND = 50
-MAP_BITS = 1 << 24
+MAP_BITS = 1 << 26
 #: Rows of (hash, first row) of repeated sets up to which they are broadcast rather than shuffled.
 BROADCAST_ROWS = 300_000
 SKETCH = 56
 # Relative costs of a signature row and of a candidate pair.
-ROW_COST, PAIR_COST = 1.0, 0.12
+ROW_COST, PAIR_COST = 1.0, 0.04
 
 
 @dataclass(frozen=True)
 class Plan:
-    """words: frequent word -> partition (0 common, 1 middling); rare words are spread over ``rare`` partitions."""
+    """words: frequent word -> partition (0 common, then ``mid`` middling ones); rare words are spread over ``rare`` more."""
 
     words: dict[str, int]
     counts: dict[str, int]
+    mid: int
     rare: int
     first: tuple[int, ...]
     second: tuple[int, ...]
@@ -137,14 +138,6 @@ def company(sample: list[list[str]], frequent: dict[str, int]) -> set[str]:
     return {w for w, i in at.items() if with_others[i].sum() >= 2}
 
 
-def _elementary(p: list[float], most: int) -> list[float]:
-    e = [1.0] + [0.0] * most
-    for x in p:
-        for j in range(most, 0, -1):
-            e[j] += e[j - 1] * x
-    return e
-
-
 def allocate(tables: list[list[float]], total: int) -> tuple[float, tuple[int, ...]]:
     """Least cost of thresholds c_i >= 1 with the given sum, by dynamic programming over the partitions."""
     best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
@@ -159,50 +152,47 @@ def allocate(tables: list[list[float]], total: int) -> tuple[float, tuple[int, .
 
 
 def make_plan(sample: list[list[str]], counts: dict[str, int], n: int, num: int = NUM, den: int = DEN) -> Plan:
-    """counts: records per frequent word; n: records."""
+    """counts: records per frequent word; n: records.
+
+    Signatures and candidates per partition and threshold are counted in the sample and scaled to n records.
+    """
     common = {w for w, c in counts.items() if c >= COMMON * n} | (company(sample, counts) if sample else set())
-    words = {w: 0 if w in common else 1 for w in counts}
+    middling = sorted(w for w in counts if w not in common)
+    default = Plan(dict.fromkeys(common, 0), counts, 1, 1, (1,) * 2, (1,) * 2, num, den)
     if not sample:
-        return Plan(words, counts, 1, (1, 1), (1, 1), num, den)
-    spread = max(1.0, sum(sum(w not in counts for w in s) for s in sample) / len(sample))
-    distinct = len({w for s in sample for w in s if w not in counts}) or 1
-    p_rare = min(FREQUENT, spread / distinct)
-    ks = np.array([-(-2 * num * len(s) // (num + den)) - sum(words.get(w) == 0 for w in s) for s in sample])
-    most, plans = 8, {}
-    for rare in (1, 2, 3):
-        groups: list[list[list[float]]] = [[] for _ in range(rare + 1)]
-        for s in sample[:4000]:
-            row: list[list[float]] = [[] for _ in range(rare + 1)]
-            for w in s:
-                g = words.get(w)
-                if g is None:
-                    row[_hash(w) % rare].append(p_rare)
-                elif g == 1:
-                    row[rare].append(counts[w] / n)
-            for g, ps in zip(groups, row, strict=True):
-                g.append(ps)
-        tables = []
-        for g in groups:
-            sums = [_elementary(ps, most) for ps in g]
-            subsets = [_elementary([1.0] * len(ps), most) for ps in g]
-            tables.append([0.0] + [sum(ROW_COST * min(MAX_SUBSETS, c[i]) + PAIR_COST * n * e[i] / 2 for e, c in zip(sums, subsets, strict=True)) / len(g) for i in range(1, most + 1)])
-        for k in range(1, 13):
-            cost, c = allocate(tables, k + rare)
-            if c:
-                plans[rare, k] = (cost, c, float((ks < k).mean()))
-    # A record too small for the first plan costs some four times its second plan; one left over meets the records of its rare words.
-    best = None
-    for (rare, k), (cost, c, left) in plans.items():
-        for k2 in range(1, k + 1):
-            if (rare, k2) not in plans:
-                continue
-            cost2, c2, left2 = plans[rare, k2]
-            total = cost + left * cost2 * 4 + left2 * (9 * ROW_COST + 9 * PAIR_COST * n * p_rare)
-            if best is None or total < best[0]:
-                best = (total, rare, c, c2)
-    if best is None:
-        return Plan(words, counts, 1, (1, 1), (1, 1), num, den)
-    return Plan(words, counts, best[1], best[2], best[3], num, den)
+        return default
+    own = np.array([-(-2 * num * len(s) // (num + den)) - sum(w in common for w in s) for s in sample])
+    rows = pa.array([" ".join(s) for s in sample])
+    scale = (n / len(sample)) ** 2
+    best, found = math.inf, default
+    for rare, mid in itertools.product((1, 2, 3), (1, 2)):
+        # Halves of the middling words with like frequencies in both.
+        words = dict.fromkeys(common, 0) | {w: 1 + i % mid for i, w in enumerate(sorted(middling, key=lambda w: -counts[w]))}
+        m = rare + mid
+        trial = Plan(words, counts, mid, rare, (1,) * m, (1,) * m, num, den)
+        e = Emitter(trial)
+        e.read(rows)
+        made: dict[tuple[int, int], tuple[float, float]] = {}  # (partition, threshold) -> signatures a record, pairs in all
+        for g in range(m):
+            for c in range(1, 9):
+                _, sig = e.family(g + 1, c, ~e.wide)
+                _, k = np.unique(sig, return_counts=True)
+                made[g, c] = len(sig) / len(sample), float((k * (k - 1.0)).sum() / 2 * scale)
+        cost = [[0.0] + [ROW_COST * n * made[g, c][0] + PAIR_COST * made[g, c][1] for c in range(1, 9)] for g in range(m)]
+        plans = {k: (x, c, float((own < k).mean())) for k in range(1, 13) for x, c in [allocate(cost, k + m - 1)] if c}
+        for k, (x, c, left) in plans.items():
+            for k2, (_, c2, left2) in plans.items():
+                if k2 > k:
+                    continue
+                extra = [made[g, y] for g, (x1, y) in enumerate(zip(c, c2, strict=True)) if x1 != y]
+                sigs = sum(r for r, _ in extra)
+                admitted = sigs * (1 - math.exp(-left * n * sigs / MAP_BITS)) * n + 2 * left * sum(p for _, p in extra)
+                total = x + ROW_COST * (left * n * sigs + min(admitted, n * sigs)) + PAIR_COST * 2 * left * sum(p for _, p in extra)
+                lone = min((made[g, 1][1] for g in range(mid, m)), default=0.0)
+                total += left2 * (ROW_COST * n * 9 + PAIR_COST * 9 * lone) + ROW_COST * n * 9 * (1 - math.exp(-left2 * n * 9 / len(e.seen)))
+                if total < best:
+                    best, found = total, Plan(words, counts, mid, rare, c, c2, num, den)
+    return found
 
 
 def _hash(word: str) -> int:
@@ -231,7 +221,7 @@ class Emitter:
         hit = self.seen.get(w)
         if hit is None:
             h, g = _hash(w), self.plan.words.get(w)
-            part = 2 + h % self.plan.rare if g is None else g
+            part = 1 + self.plan.mid + h % self.plan.rare if g is None else g
             hit = self.seen[w] = (h, part, self.plan.counts.get(w, 0))
             if len(self.seen) > 1_000_000:
                 self.seen.clear()
@@ -257,32 +247,34 @@ class Emitter:
         self.sketch = np.bitwise_xor.reduceat(parity, starts) if len(starts) else np.zeros(0, np.uint64)
         rows = len(self.size)
         p = self.plan
-        self.n_in = np.stack([np.bincount(self.row[self.part == g], minlength=rows) for g in range(2 + p.rare)]) if rows else np.zeros((2 + p.rare, 0), np.int64)
+        self.n_in = np.stack([np.bincount(self.row[self.part == g], minlength=rows) for g in range(1 + p.mid + p.rare)]) if rows else np.zeros((1 + p.mid + p.rare, 0), np.int64)
         k = -(-2 * p.num * self.size // (p.num + p.den)) - self.n_in[0]
         self.wide = np.zeros(rows, bool)
         for c in (p.first, p.second):
-            for g, ci in zip([*range(2, 2 + p.rare), 1], c, strict=True):
+            for g, ci in enumerate(c, 1):
                 big = int(np.max(self.n_in[g], initial=0))
                 limit = next((n for n in range(ci, big + 1) if math.comb(n, ci) > MAX_SUBSETS), big + 1)
                 self.wide |= self.n_in[g] >= limit
         self.level = np.where(self.wide, 3, np.where(k >= p.least(p.first), 1, np.where(k >= p.least(p.second), 2, 3)))
 
-    def subsets(self, c: tuple[int, ...], seed: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, signatures) of the marked rows."""
-        out_r, out_s = [], []
-        for g, ci in zip([*range(2, 2 + self.plan.rare), 1], c, strict=True):
-            sel = (self.part == g) & rows[self.row]
-            h, r = self.hash[sel], self.row[sel]
-            n = self.n_in[g]
-            for size in np.unique(n[rows]):
-                if size < ci:
-                    continue
+    def family(self, g: int, c: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, signatures) of all c-subsets in partition g of the marked rows."""
+        sel = (self.part == g) & rows[self.row]
+        h, r, n = self.hash[sel], self.row[sel], self.n_in[g]
+        out_r, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for size in np.unique(n[rows]):
+            if size >= c and math.comb(int(size), c) <= MAX_SUBSETS:
                 which = np.flatnonzero((n == size) & rows)
                 m = h[n[r] == size].reshape(len(which), size)
-                sig = _mix(m[:, self._subsets(int(size), ci)].sum(axis=2, dtype=np.uint64), seed * 100 + g * 10 + ci)
+                sig = _mix(m[:, self._subsets(int(size), c)].sum(axis=2, dtype=np.uint64), g * 10 + c)
                 out_r.append(np.repeat(which, sig.shape[1]))
                 out_s.append(sig.ravel())
-        return (np.concatenate(out_r), np.concatenate(out_s)) if out_r else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return np.concatenate(out_r), np.concatenate(out_s)
+
+    def subsets(self, c: tuple[int, ...], rows: np.ndarray, but: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Families of all partitions, without those that the thresholds ``but`` have as well."""
+        parts = [self.family(g, ci, rows) for g, ci in enumerate(c, 1) if not but or but[g - 1] != ci]
+        return (np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
     def rarest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words, rarest first, of which a similar record must have at least one."""
@@ -298,7 +290,7 @@ class Emitter:
         return r[keep], _mix(h[keep], 7)
 
     def low(self, rows2: np.ndarray, rows3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.subsets(self.plan.second, 2, rows2), self.rarest(rows3)
+        a, b = self.subsets(self.plan.second, rows2, self.plan.first), self.rarest(rows3)
         return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
 
 
@@ -325,28 +317,63 @@ def _wanted(reps: DataFrame, plan: Plan) -> np.ndarray | None:
     return bits.view(np.uint8)
 
 
+_SIGNATURE = pa.schema([("sig", pa.int64()), ("row_id", pa.int64()), ("sketch", pa.int64())])
+
+
+def _batch(e: Emitter, ids: np.ndarray, r: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    """sketch has the parity bits, and in its top byte the set size (255: 255 or more)."""
+    packed = (e.sketch | (np.minimum(e.size, 255).astype(np.uint64) << np.uint64(SKETCH))).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids[r], pa.int64()), pa.array(packed[r])], schema=_SIGNATURE)
+
+
 def signatures(reps: DataFrame, plan: Plan) -> DataFrame:
-    """(sig, row_id, sketch): sketch has the parity bits, and in its top byte the set size (255: 255 or more)."""
-    shared = reps.sparkSession.sparkContext.broadcast((plan, _wanted(reps, plan)))
-    schema = pa.schema([("sig", pa.int64()), ("row_id", pa.int64()), ("sketch", pa.int64())])
+    """(sig, row_id, sketch) by the first thresholds."""
+    shared = reps.sparkSession.sparkContext.broadcast(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = Emitter(shared.value)
+        for b in batches:
+            e.read(b.column("words"))
+            yield _batch(e, b.column("row_id").to_numpy(), *e.subsets(e.plan.first, ~e.wide))
+
+    return reps.select("row_id", "words").mapInArrow(run, "sig BIGINT, row_id BIGINT, sketch BIGINT")
+
+
+def low_signatures(reps: DataFrame, plan: Plan, wanted: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Second and third signatures: of the records that need them, and of all records as far as the bit map admits them."""
+    shared = reps.sparkSession.sparkContext.broadcast((plan, wanted))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = Emitter(shared.value[0])
+        for b in batches:
+            e.read(b.column("words"))
+            yield _batch(e, b.column("row_id").to_numpy(), *e.low(e.level == 2, e.level == 3))
+
+    def admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, wanted = shared.value
         e = Emitter(plan)
         for b in batches:
             e.read(b.column("words"))
-            ids = b.column("row_id").to_numpy()
-            r, s = e.subsets(plan.first, 1, ~e.wide)
-            if wanted is not None:
-                everyone = np.ones(len(ids), bool)
-                r2, s2 = e.low(~e.wide, everyone)
-                pos = s2 % np.uint64(MAP_BITS)
-                hit = (wanted[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                r, s = np.concatenate([r, r2[hit]]), np.concatenate([s, s2[hit]])
-            packed = (e.sketch | (np.minimum(e.size, 255).astype(np.uint64) << np.uint64(SKETCH))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids[r], pa.int64()), pa.array(packed[r])], schema=schema)
+            r, s = e.low(~e.wide, np.ones(len(e.size), bool))
+            pos = s % np.uint64(MAP_BITS)
+            hit = (wanted[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            yield _batch(e, b.column("row_id").to_numpy(), r[hit], s[hit])
 
-    return reps.select("row_id", "words").mapInArrow(run, "sig BIGINT, row_id BIGINT, sketch BIGINT")
+    rows = reps.select("row_id", "words")
+    schema = "sig BIGINT, row_id BIGINT, sketch BIGINT"
+    return rows.mapInArrow(needed, schema), rows.mapInArrow(admitted, schema)
+
+
+def _candidates(left: DataFrame, right: DataFrame, num: int, den: int, both_ways: bool) -> DataFrame:
+    """Pairs of equal signatures whose sizes and sketches allow the similarity.  both_ways: left is right."""
+    a = left.select("sig", F.col("row_id").alias("x"), F.col("sketch").alias("sk_x"))
+    b = right.select("sig", F.col("row_id").alias("y"), F.col("sketch").alias("sk_y"))
+    nx, ny = F.shiftrightunsigned("sk_x", SKETCH), F.shiftrightunsigned("sk_y", SKETCH)
+    distance = F.bit_count(F.col("sk_x").bitwiseXOR(F.col("sk_y")).bitwiseAND(F.lit((1 << SKETCH) - 1)))
+    most = nx + ny - 2 * F.expr(f"({num} * (shiftrightunsigned(sk_x, {SKETCH}) + shiftrightunsigned(sk_y, {SKETCH})) + {num + den - 1}) div {num + den}")
+    near = (F.greatest(nx, ny) >= 255) | ((distance <= most) & (den * F.least(nx, ny) >= num * F.greatest(nx, ny)))
+    order = F.col("x") < F.col("y") if both_ways else F.col("x") != F.col("y")
+    return a.join(b, "sig").where(order & near).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
 
 def similar_sets(reps: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -355,17 +382,14 @@ def similar_sets(reps: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     floor = max(2, math.ceil(FREQUENT * n))
     counts = {r.word: r.n for r in word_counts(reps).where(F.col("n") >= floor).collect()}  # at most mean set size / FREQUENT
     every = max(1, n // SAMPLE)
-    sample = [r.words.split(" ") for r in reps.where(F.pmod(F.xxhash64("row_id"), F.lit(every)) == 0).select("words").limit(SAMPLE * 2).collect()]
+    sample = [r.words.split(" ") for r in reps.where(F.pmod(F.xxhash64("row_id"), F.lit(every)) == 0).select("words").limit(2 * SAMPLE).collect()]
     plan = make_plan(sample, counts, max(1, n), num, den)
     s = signatures(reps, plan)
-    a = s.select("sig", F.col("row_id").alias("row_id_a"), F.col("sketch").alias("sk_a"))
-    b = s.select("sig", F.col("row_id").alias("row_id_b"), F.col("sketch").alias("sk_b"))
-    na, nb = F.shiftrightunsigned("sk_a", SKETCH), F.shiftrightunsigned("sk_b", SKETCH)
-    both = na + nb
-    distance = F.bit_count(F.col("sk_a").bitwiseXOR(F.col("sk_b")).bitwiseAND(F.lit((1 << SKETCH) - 1)))
-    most = both - 2 * F.expr(f"(({num} * (shiftrightunsigned(sk_a, {SKETCH}) + shiftrightunsigned(sk_b, {SKETCH})) + {num + den - 1}) div {num + den})")
-    near = (F.greatest(na, nb) >= 255) | ((distance <= most) & (den * F.least(na, nb) >= num * F.greatest(na, nb)))
-    pairs = a.join(b, "sig").where((F.col("row_id_a") < F.col("row_id_b")) & near).select("row_id_a", "row_id_b").distinct()
+    pairs = _candidates(s, s, num, den, True)
+    wanted = _wanted(reps, plan)
+    if wanted is not None:
+        pairs = pairs.unionByName(_candidates(*low_signatures(reps, plan, wanted), num, den, False))
+    pairs = pairs.distinct()
     va = reps.select(F.col("row_id").alias("row_id_a"), F.split("words", " ").alias("wa"))
     vb = reps.select(F.col("row_id").alias("row_id_b"), F.split("words", " ").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
