@@ -32,5 +32,5 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and return the written table."""
     path = f"{scratch_dir(df.sparkSession)}/memloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
