@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import leakage, neardup, packing
+from memloom.llm import leakage, neardup, packing, spam
 from memloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,15 @@ def p7_by_item(spark: SparkSession, d: str) -> DataFrame:
     return leakage.by_item(table(spark, d, "documents"), table(spark, d, "eval_items")).drop("item_share")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p6_pack, p6_report, p7_found, p7_by_item)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.found(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id", "lang", "n_words", "distance", "cosine", "share", "outlier", "spam")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p6_pack, p6_report, p7_found, p7_by_item, p8_found, p8_scores)}
 
 _GRAMS = """
 WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
