@@ -16,7 +16,7 @@ n - ceil(num*n/den) + 1, -1 on the others) serve the few that are left and very
 signatures that a fixed-size bit map of the small records' signatures admits.
 
 *Probe and verify.*  Each record emits a hash of each c_i-subset per partition; equal hashes are joined (sort-merge, split by
-adaptive execution where a hash is hot), prefiltered by a 56-bit parity sketch whose Hamming distance is a lower bound, and
+adaptive execution where a hash is hot), prefiltered by a 48-bit parity sketch whose Hamming distance is a lower bound, and
 verified exactly on the words.  Nothing is sampled but the rows from which frequencies of company and plan costs are estimated
 (``SAMPLE``); these decide cost, never results.
 
@@ -56,9 +56,10 @@ EXPAND = 50
 MAP_BITS = 1 << 26
 #: Rows of (hash, first row) of repeated sets up to which they are broadcast rather than shuffled.
 BROADCAST_ROWS = 300_000
-SKETCH = 56
+SKETCH = 48
+SIGNATURE_BITS = 40
 # Relative costs of a signature row and of a candidate pair.
-ROW_COST, PAIR_COST = 1.0, 0.04
+ROW_COST, PAIR_COST = 1.0, 0.02
 
 
 @dataclass(frozen=True)
@@ -80,10 +81,23 @@ class Plan:
 
 
 def word_sets(patches: DataFrame) -> DataFrame:
-    """(row_id, words): counted rows with words, not of type slot; words distinct, sorted, separated by blanks."""
+    """(row_id, words): counted rows with words, not of type slot; words distinct, sorted, separated by blanks.
+
+    Few rows are delivered again, so the rows that don't count are found on the keys alone, and the texts stay where they
+    were read as long as those rows are few enough to be broadcast.
+    """
+    rows = patches.where("conv_id IS NOT NULL AND patch_id IS NOT NULL AND row_id IS NOT NULL")
+    again = materialize(rows.groupBy("conv_id", "patch_id").agg(F.count("*").alias("n")).where("n > 1").select("conv_id", "patch_id"), "again")
+    few = again.count() <= BROADCAST_ROWS
+    mark = F.broadcast if few else (lambda df: df)
+    delivered = rows.select("conv_id", "patch_id", "ingested_at", "row_id").join(mark(again), ["conv_id", "patch_id"], "left_semi")
+    first = counted(delivered, "row_id").select("row_id")
+    lost = materialize(delivered.select("row_id").join(first, "row_id", "left_anti"), "lost")
+    if lost.count() > BROADCAST_ROWS:
+        mark = lambda df: df
     words = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("payload"), F.lit(r"([\p{L}\p{N}]+)"), 1))), " ")
-    text = F.when(norm_type(F.col("patch_type")).eqNullSafe("slot"), None).otherwise(words)
-    return counted(patches.select("conv_id", "patch_id", "ingested_at", "row_id", text.alias("words")), "row_id", "words").where("words <> '' AND row_id IS NOT NULL").select("row_id", "words")
+    kept = rows.where("payload IS NOT NULL").where(~norm_type(F.col("patch_type")).eqNullSafe("slot")).select("row_id", "payload").join(mark(lost), "row_id", "left_anti")
+    return kept.select("row_id", words.alias("words")).where("words <> ''")
 
 
 def _keys() -> tuple:
@@ -321,8 +335,10 @@ _SIGNATURE = pa.schema([("sig", pa.int64()), ("row_id", pa.int64()), ("sketch",
 
 
 def _batch(e: Emitter, ids: np.ndarray, r: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    """sketch has the parity bits, and in its top byte the set size (255: 255 or more)."""
+    """sketch has the parity bits, and in the byte above them the set size (255: 255 or more)."""
     packed = (e.sketch | (np.minimum(e.size, 255).astype(np.uint64) << np.uint64(SKETCH))).view(np.int64)
+    order = np.argsort(r, kind="stable")  # a record's rows side by side compress well
+    r, s = r[order], s[order] >> np.uint64(64 - SIGNATURE_BITS)
     return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids[r], pa.int64()), pa.array(packed[r])], schema=_SIGNATURE)
 
 
@@ -390,13 +406,14 @@ def similar_sets(reps: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     if wanted is not None:
         pairs = pairs.unionByName(_candidates(*low_signatures(reps, plan, wanted), num, den, False))
     pairs = pairs.distinct()
-    va = reps.select(F.col("row_id").alias("row_id_a"), F.split("words", " ").alias("wa"))
-    vb = reps.select(F.col("row_id").alias("row_id_b"), F.split("words", " ").alias("wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
+    va = reps.select(F.col("row_id").alias("row_id_a"), F.col("words").alias("wa"))
+    vb = reps.select(F.col("row_id").alias("row_id_b"), F.col("words").alias("wb"))
+    a, b = F.split("wa", " "), F.split("wb", " ")
+    common = F.size(F.array_intersect(a, b))
     return (
         pairs.join(va, "row_id_a")
         .join(vb, "row_id_b")
-        .select("row_id_a", "row_id_b", common.alias("n_common"), (F.size("wa") + F.size("wb") - common).alias("n_union"))
+        .select("row_id_a", "row_id_b", common.alias("n_common"), (F.size(a) + F.size(b) - common).alias("n_union"))
         .where(F.col("n_common") * den >= F.col("n_union") * num)
     )
 
