@@ -10,10 +10,11 @@ k(b) = ceil(2*num*b/(num+den)) - (its common words) words outside the common par
 principle any minimal overlaps c_1..c_m with sum c_i = k + m - 1 have a partition i in which the pair shares c_i words.
 
 *Thresholds.*  The c_i are unequal: for each number of partitions and each k a dynamic programme allocates them to minimise the
-signatures and candidates estimated from word frequencies; the cheapest plan wins.  A second, lower plan serves the records
-whose k is too small for the first, and single words in order of rarity (partitions of one word, threshold 0 on the rarest
-n - ceil(num*n/den) + 1, -1 on the others) serve the few that are left and very long records.  For these two, records emit only the
-signatures that a fixed-size bit map of the small records' signatures admits.
+signatures and candidates counted in a sample; the cheapest plan wins.  Records whose k is too small for it have thresholds
+of their own: the rare partitions keep theirs, and the middling words, as one partition, get what is left, k - sum (c_rare - 1).
+Single words in order of rarity (partitions of one word, threshold 0 on the rarest n - ceil(num*n/den) + 1, -1 on the others)
+serve the few that are left and very long records.  For both, the other records emit only the signatures that a fixed-size bit
+map of the small records' signatures admits.
 
 *Probe and verify.*  Each record emits a hash of each c_i-subset per partition; equal hashes are joined (sort-merge, split by
 adaptive execution where a hash is hot), prefiltered by a 48-bit parity sketch whose Hamming distance is a lower bound, and
@@ -54,6 +55,8 @@ COMMON = 0.05
 MAX_SUBSETS = 400
 EXPAND = 50
 MAP_BITS = 1 << 26
+#: Number of the partition of all middling words.
+JOINT = -1
 #: Rows of (hash, first row) of repeated sets up to which they are broadcast rather than shuffled.
 BROADCAST_ROWS = 300_000
 SKETCH = 48
@@ -71,13 +74,23 @@ class Plan:
     mid: int
     rare: int
     first: tuple[int, ...]
-    second: tuple[int, ...]
     num: int = NUM
     den: int = DEN
 
-    def least(self, c: tuple[int, ...]) -> int:
-        """The k from which the thresholds c find every pair."""
-        return sum(c) - len(c) + 1
+    @property
+    def least(self) -> int:
+        """The k from which the first thresholds find every pair."""
+        return sum(self.first) - len(self.first) + 1
+
+    @property
+    def by_rare(self) -> int:
+        """What the rare partitions' thresholds make up; a record of a lower k needs k - by_rare middling words in common."""
+        return sum(c - 1 for c in self.first[self.mid :])
+
+    @property
+    def low(self) -> range:
+        """Thresholds of the joint middling partition that records below ``least`` may have."""
+        return range(2, self.least - self.by_rare)
 
 
 def word_sets(patches: DataFrame) -> DataFrame:
@@ -172,7 +185,7 @@ def make_plan(sample: list[list[str]], counts: dict[str, int], n: int, num: int
     """
     common = {w for w, c in counts.items() if c >= COMMON * n} | (company(sample, counts) if sample else set())
     middling = sorted(w for w in counts if w not in common)
-    default = Plan(dict.fromkeys(common, 0), counts, 1, 1, (1,) * 2, (1,) * 2, num, den)
+    default = Plan(dict.fromkeys(common, 0), counts, 1, 1, (1,) * 2, num, den)
     if not sample:
         return default
     own = np.array([-(-2 * num * len(s) // (num + den)) - sum(w in common for w in s) for s in sample])
@@ -183,7 +196,7 @@ def make_plan(sample: list[list[str]], counts: dict[str, int], n: int, num: int
         # Halves of the middling words with like frequencies in both.
         words = dict.fromkeys(common, 0) | {w: 1 + i % mid for i, w in enumerate(sorted(middling, key=lambda w: -counts[w]))}
         m = rare + mid
-        trial = Plan(words, counts, mid, rare, (1,) * m, (1,) * m, num, den)
+        trial = Plan(words, counts, mid, rare, (1,) * m, num, den)
         e = Emitter(trial)
         e.read(rows)
         made: dict[tuple[int, int], tuple[float, float]] = {}  # (partition, threshold) -> signatures a record, pairs in all
@@ -194,18 +207,24 @@ def make_plan(sample: list[list[str]], counts: dict[str, int], n: int, num: int
                 made[g, c] = len(sig) / len(sample), float((k * (k - 1.0)).sum() / 2 * scale)
         cost = [[0.0] + [ROW_COST * n * made[g, c][0] + PAIR_COST * made[g, c][1] for c in range(1, 9)] for g in range(m)]
         plans = {k: (x, c, float((own < k).mean())) for k in range(1, 13) for x, c in [allocate(cost, k + m - 1)] if c}
-        for k, (x, c, left) in plans.items():
-            for k2, (_, c2, left2) in plans.items():
-                if k2 > k:
-                    continue
-                extra = [made[g, y] for g, (x1, y) in enumerate(zip(c, c2, strict=True)) if x1 != y]
-                sigs = sum(r for r, _ in extra)
-                admitted = sigs * (1 - math.exp(-left * n * sigs / MAP_BITS)) * n + 2 * left * sum(p for _, p in extra)
-                total = x + ROW_COST * (left * n * sigs + min(admitted, n * sigs)) + PAIR_COST * 2 * left * sum(p for _, p in extra)
-                lone = min((made[g, 1][1] for g in range(mid, m)), default=0.0)
-                total += left2 * (ROW_COST * n * 9 + PAIR_COST * 9 * lone) + ROW_COST * n * 9 * (1 - math.exp(-left2 * n * 9 / len(e.seen)))
-                if total < best:
-                    best, found = total, Plan(words, counts, mid, rare, c, c2, num, den)
+        joint = {}
+        for c in range(2, 7):
+            _, sig = e.family(JOINT, c, ~e.wide)
+            _, k = np.unique(sig, return_counts=True)
+            joint[c] = len(sig) / len(sample), float((k * (k - 1.0)).sum() / 2 * scale)
+        for k, (x, c, _) in plans.items():
+            plan = Plan(words, counts, mid, rare, c, num, den)
+            total = x
+            for i in plan.low:
+                share = float((own == i + plan.by_rare).mean())
+                sigs, pairs = joint.get(i, (MAX_SUBSETS, math.inf))
+                if share:
+                    met = min(n * sigs, n * sigs * (1 - math.exp(-share * n * sigs / MAP_BITS)) + 2 * share * pairs)
+                    total += ROW_COST * (share * n * sigs + met) + PAIR_COST * 2 * share * pairs
+            lone = float((own < 2 + plan.by_rare).mean())
+            total += ROW_COST * n * 9 * (1 - math.exp(-lone * n * 9 / len(e.seen)))
+            if total < best:
+                best, found = total, plan
     return found
 
 
@@ -264,31 +283,38 @@ class Emitter:
         self.n_in = np.stack([np.bincount(self.row[self.part == g], minlength=rows) for g in range(1 + p.mid + p.rare)]) if rows else np.zeros((1 + p.mid + p.rare, 0), np.int64)
         k = -(-2 * p.num * self.size // (p.num + p.den)) - self.n_in[0]
         self.wide = np.zeros(rows, bool)
-        for c in (p.first, p.second):
-            for g, ci in enumerate(c, 1):
-                big = int(np.max(self.n_in[g], initial=0))
-                limit = next((n for n in range(ci, big + 1) if math.comb(n, ci) > MAX_SUBSETS), big + 1)
-                self.wide |= self.n_in[g] >= limit
-        self.level = np.where(self.wide, 3, np.where(k >= p.least(p.first), 1, np.where(k >= p.least(p.second), 2, 3)))
+        for g, ci in [*enumerate(p.first, 1), *((JOINT, c) for c in p.low)]:
+            n = self._n(g)
+            big = int(np.max(n, initial=0))
+            limit = next((x for x in range(ci, big + 1) if math.comb(x, ci) > MAX_SUBSETS), big + 1)
+            self.wide |= n >= limit
+        self.own = k - p.by_rare
+        self.level = np.where(self.wide, 3, np.where(k >= p.least, 1, np.where(self.own >= 2, 2, 3)))
+
+    def _n(self, g: int) -> np.ndarray:
+        return self.n_in[1 : 1 + self.plan.mid].sum(axis=0) if g == JOINT else self.n_in[g]
 
     def family(self, g: int, c: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers, signatures) of all c-subsets in partition g of the marked rows."""
-        sel = (self.part == g) & rows[self.row]
-        h, r, n = self.hash[sel], self.row[sel], self.n_in[g]
+        within = (self.part >= 1) & (self.part <= self.plan.mid) if g == JOINT else self.part == g
+        sel = within & rows[self.row]
+        h, r, n = self.hash[sel], self.row[sel], self._n(g)
         out_r, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for size in np.unique(n[rows]):
             if size >= c and math.comb(int(size), c) <= MAX_SUBSETS:
                 which = np.flatnonzero((n == size) & rows)
                 m = h[n[r] == size].reshape(len(which), size)
-                sig = _mix(m[:, self._subsets(int(size), c)].sum(axis=2, dtype=np.uint64), g * 10 + c)
+                sig = _mix(m[:, self._subsets(int(size), c)].sum(axis=2, dtype=np.uint64), (g + 2) * 10 + c)
                 out_r.append(np.repeat(which, sig.shape[1]))
                 out_s.append(sig.ravel())
         return np.concatenate(out_r), np.concatenate(out_s)
 
-    def subsets(self, c: tuple[int, ...], rows: np.ndarray, but: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """Families of all partitions, without those that the thresholds ``but`` have as well."""
-        parts = [self.family(g, ci, rows) for g, ci in enumerate(c, 1) if not but or but[g - 1] != ci]
-        return (np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    def subsets(self, c: tuple[int, ...], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._all([self.family(g, ci, rows) for g, ci in enumerate(c, 1)])
+
+    @staticmethod
+    def _all(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
 
     def rarest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words, rarest first, of which a similar record must have at least one."""
@@ -303,20 +329,24 @@ class Emitter:
         keep = place < (self.size - -(-self.plan.num * self.size // self.plan.den) + 1)[r]
         return r[keep], _mix(h[keep], 7)
 
-    def low(self, rows2: np.ndarray, rows3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.subsets(self.plan.second, rows2, self.plan.first), self.rarest(rows3)
-        return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    def needed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The further signatures of the records that the first thresholds don't serve."""
+        return self._all([*(self.family(JOINT, c, (self.level == 2) & (self.own == c)) for c in self.plan.low), self.rarest(self.level == 3)])
+
+    def offered(self) -> tuple[np.ndarray, np.ndarray]:
+        """All signatures by which such a record may meet this one."""
+        return self._all([*(self.family(JOINT, c, ~self.wide) for c in self.plan.low), self.rarest(np.ones(len(self.size), bool))])
 
 
 def _wanted(reps: DataFrame, plan: Plan) -> np.ndarray | None:
-    """Bit map of the second and third signatures of the records that need them; None if none do."""
+    """Bit map of the further signatures of the records that need them; None if none do."""
     schema = pa.schema([("w", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Emitter(plan)
         for b in batches:
             e.read(b.column("words"))
-            _, s = e.low(e.level == 2, e.level == 3)
+            _, s = e.needed()
             pos = np.unique(s % np.uint64(MAP_BITS))
             word, at = np.unique(pos >> np.uint64(6), return_index=True)
             if len(pos):
@@ -356,21 +386,21 @@ def signatures(reps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def low_signatures(reps: DataFrame, plan: Plan, wanted: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Second and third signatures: of the records that need them, and of all records as far as the bit map admits them."""
+    """Further signatures: of the records that need them, and of all records as far as the bit map admits them."""
     shared = reps.sparkSession.sparkContext.broadcast((plan, wanted))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Emitter(shared.value[0])
         for b in batches:
             e.read(b.column("words"))
-            yield _batch(e, b.column("row_id").to_numpy(), *e.low(e.level == 2, e.level == 3))
+            yield _batch(e, b.column("row_id").to_numpy(), *e.needed())
 
     def admitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, wanted = shared.value
         e = Emitter(plan)
         for b in batches:
             e.read(b.column("words"))
-            r, s = e.low(~e.wide, np.ones(len(e.size), bool))
+            r, s = e.offered()
             pos = s % np.uint64(MAP_BITS)
             hit = (wanted[(pos >> np.uint64(3)).astype(np.int64)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1 == 1
             yield _batch(e, b.column("row_id").to_numpy(), r[hit], s[hit])
