@@ -191,9 +191,7 @@ def _places(patterns: list[Pattern], first: int) -> tuple[dict[int, tuple[np.nda
 
 def pack(documents: DataFrame, packs: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """(pack_name, capacity_tokens, doc_id, piece_no, n_tokens, container_id): one row per piece of a text and pack."""
-    spark = documents.sparkSession
-    sizes = materialize(token_counts(documents, folder, name), "tokens")
-    return assign(sizes, packs, block) if not sizes.isEmpty() else spark.createDataFrame([], OUT)
+    return assign(materialize(token_counts(documents, folder, name), "tokens"), packs, block)
 
 
 OUT = "pack_name STRING, capacity_tokens BIGINT, doc_id BIGINT, piece_no BIGINT, n_tokens BIGINT, container_id BIGINT"
@@ -205,7 +203,7 @@ def assign(sizes: DataFrame, packs: DataFrame, block: int = BLOCK) -> DataFrame:
     caps = packs.select("pack_name", F.col("capacity_tokens").cast("long").alias("c")).where("pack_name IS NOT NULL AND c > 0").distinct().limit(MAX_PACKS + 1).collect()
     if len(caps) > MAX_PACKS or sum(r.c for r in caps) > MAX_CAPACITY_SUM:
         raise ValueError("too many packs, or capacities too large for histograms on the driver")
-    if not caps:
+    if not caps or sizes.isEmpty():
         return spark.createDataFrame([], OUT)
     each = F.array(*(F.struct(F.lit(r.pack_name).alias("pack_name"), F.lit(r.c).cast("long").alias("capacity_tokens")) for r in caps))
     n_blocks = max(1, -(-sizes.count() // block))
