@@ -31,6 +31,7 @@ def compress(memory: DataFrame, queries: DataFrame | None = None, cfg: MemoryCon
     job.  A blank query asks for a summary.
     """
     cfg = cfg or MemoryConfig()
+    memory = materialize(memory, "memory")
     asked = default_queries(memory) if queries is None else queries.withColumn("query", F.when(F.trim("query") == "", DEFAULT_QUERY).otherwise(F.coalesce("query", F.lit(DEFAULT_QUERY))))
     scored = materialize(score(shrink(memory), asked, cfg), "scored")
     contexts = render(select_rows(scored, cfg))

@@ -35,7 +35,8 @@ def load_memory(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     """Saved rows; unreadable ones are left out, or fail the job if strict."""
     if strict:
         return spark.read.schema(SAVED).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(SAVED + ", _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt").json(path).where("_corrupt IS NULL").drop("_corrupt")
+    # An unreadable line gives a row of nulls; a saved row always has both ids.
+    return spark.read.schema(SAVED).json(path).where("conv_id IS NOT NULL AND patch_id IS NOT NULL")
 
 
 def load_memory_file(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
