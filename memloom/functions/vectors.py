@@ -46,8 +46,18 @@ def _squares(sorted_bag: Column) -> Column:
     return F.aggregate(sorted_bag, start, step)["sum"]
 
 
-def bag_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two bags given as sorted arrays of buckets with repeats; a and b should be columns, not expressions."""
-    both = F.aggregate(F.filter(a, lambda x: F.array_contains(b, x)), F.lit(0.0), lambda s, x: s + F.size(F.filter(b, lambda y: y == x)))
-    norm = F.sqrt(_squares(a)) * F.sqrt(_squares(b))
-    return F.when(norm == 0, 0.0).otherwise(F.try_divide(both, norm))
+def norm(sorted_bag: Column) -> Column:
+    return F.sqrt(_squares(sorted_bag))
+
+
+def weights(sorted_bag: Column) -> Column:
+    """Bucket -> count, to be built once per query."""
+    times = lambda k: F.size(F.filter(sorted_bag, lambda x: x == k)).cast("double")
+    return F.map_from_entries(F.transform(F.array_distinct(sorted_bag), lambda k: F.struct(k, times(k))))
+
+
+def bag_cosine(sorted_bag: Column, query_weights: Column, query_norm: Column) -> Column:
+    """Cosine of a bag and a query's weights; 0 where either is empty.  The arguments should be columns, not expressions."""
+    dot_ = F.aggregate(sorted_bag, F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at(query_weights, x), F.lit(0.0)))
+    both = norm(sorted_bag) * query_norm
+    return F.when(both == 0, 0.0).otherwise(F.try_divide(dot_, both))

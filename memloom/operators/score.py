@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import words_of
-from memloom.functions.vectors import bag, bag_cosine
+from memloom.functions.vectors import bag, bag_cosine, norm, weights
 from memloom.operators.memory import dependent_counts, is_critical
 from memloom.schema import TYPES, MemoryConfig
 
@@ -41,9 +41,9 @@ def score(memory: DataFrame, queries: DataFrame, cfg: MemoryConfig | None = None
     align = F.lit(0.0)
     rows = memory.drop("utility")
     if cfg.embedder != "zero":
-        most = most.withColumn("query_bag", bag(F.col("query")))
+        most = most.withColumn("query_bag", bag(F.col("query"))).withColumn("query_weights", weights(F.col("query_bag"))).withColumn("query_norm", norm(F.col("query_bag"))).drop("query_bag")
         rows = rows.withColumn("payload_bag", bag(F.col("payload")))
-        align = bag_cosine(F.col("payload_bag"), F.col("query_bag"))
+        align = bag_cosine(F.col("payload_bag"), F.col("query_weights"), F.col("query_norm"))
     rows = rows.join(most, "conv_id").join(deps.withColumnRenamed("dep", "patch_id"), ["conv_id", "patch_id"], "left")
     utility = (
         cfg.w_align * (align + by_type(3))
@@ -51,7 +51,7 @@ def score(memory: DataFrame, queries: DataFrame, cfg: MemoryConfig | None = None
         + cfg.w_recency * recency(F.col("turn_index"), F.col("query_turn"), cfg.recency_lambda)
         - cfg.w_cost * F.col("token_cost") / F.greatest("max_cost", F.lit(1))
     )
-    return rows.withColumn("utility", utility).drop("max_dep", "max_cost", "query", "query_turn", "query_bag", "payload_bag", "n")
+    return rows.withColumn("utility", utility).drop("max_dep", "max_cost", "query", "query_turn", "query_weights", "query_norm", "payload_bag", "n")
 
 
 def query_ema(queries: DataFrame, cfg: MemoryConfig | None = None, window: int = 60) -> DataFrame:

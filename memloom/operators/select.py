@@ -152,16 +152,27 @@ def greedy_fill(others: DataFrame, room: DataFrame) -> DataFrame:
     density = F.col("utility") / F.greatest("token_cost", F.lit(1))
     w = Window.partitionBy("conv_id", "token_cost").orderBy(F.desc("utility"), "turn_index", "row_id")
     few = rows.withColumn("_rank", F.row_number().over(w)).where("_rank * token_cost <= free OR token_cost = 0")
-    entry = F.struct((-density).alias("order"), "turn_index", "row_id", "patch_id", "patch_type", "payload", "token_cost")
-    lists = few.groupBy("conv_id", "free").agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    empty = F.expr("named_struct('left', free, 'taken', CAST(array() AS ARRAY<BIGINT>))")
+    schema = pa.schema([("conv_id", pa.int64()), ("pos", pa.int32()), ("patch_id", pa.string()), ("patch_type", pa.string()), ("payload", pa.string()), ("token_cost", pa.int32())])
 
-    def step(acc, x):
-        fits = (acc["left"] > 0) & (x["token_cost"] <= acc["left"])
-        return F.struct(F.when(fits, acc["left"] - x["token_cost"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["taken"], F.array(x["row_id"]))).otherwise(acc["taken"]).alias("taken"))
-
-    picked = lists.withColumn("acc", F.aggregate("items", empty, step)).withColumn("picks", F.expr("filter(items, x -> array_contains(acc.taken, x.row_id))"))
-    return picked.select("conv_id", F.posexplode("picks").alias("pos", "x")).select("conv_id", "pos", "x.patch_id", "x.patch_type", "x.payload", "x.token_cost")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, left, pos = None, 0, 0
+        for b in batches:
+            taken, places = [], []
+            for i, (c, cost_, free_) in enumerate(zip(*(b.column(x).to_pylist() for x in ("conv_id", "token_cost", "free")), strict=True)):
+                if c != conv:
+                    conv, left, pos = c, free_, 0
+                if left > 0 and cost_ <= left:
+                    left -= cost_
+                    taken.append(i)
+                    places.append(pos)
+                    pos += 1
+            own = b.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()) if f.name == "pos" else own.column(f.name).cast(f.type) for f in schema], schema=schema)
+
+    spark = others.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = few.select("conv_id", (-density).alias("order"), "turn_index", "row_id", "patch_id", "patch_type", "payload", "token_cost", "free").repartition(n, "conv_id").sortWithinPartitions("conv_id", "order", "turn_index", "row_id")
+    return ordered.mapInArrow(run, "conv_id BIGINT, pos INT, patch_id STRING, patch_type STRING, payload STRING, token_cost INT")
 
 
 def select_rows(memory: DataFrame, cfg: MemoryConfig | None = None) -> DataFrame:

@@ -222,9 +222,9 @@ def asked(m: DataFrame) -> DataFrame:
 @query(MEM + _ASKED + _COS + " SELECT row_id, round(cos, 6) AS cos FROM cos")
 def query_align(spark: SparkSession, d: str) -> DataFrame:
     m = mem(spark, d)
-    q = asked(m).select("conv_id", vectors.bag(F.col("query")).alias("q"))
+    q = asked(m).select("conv_id", vectors.bag(F.col("query")).alias("b")).select("conv_id", vectors.weights(F.col("b")).alias("q"), vectors.norm(F.col("b")).alias("q_norm"))
     rows = m.select("conv_id", "row_id", vectors.bag(F.col("payload")).alias("p")).join(q, "conv_id")
-    return rows.select("row_id", F.round(vectors.bag_cosine(F.col("p"), F.col("q")), 6).alias("cos"))
+    return rows.select("row_id", F.round(vectors.bag_cosine(F.col("p"), F.col("q"), F.col("q_norm")), 6).alias("cos"))
 
 
 @query(MEM + _ASKED + " SELECT row_id, round(exp(-0.15 * greatest(query_turn - turn_index, 0)), 9) AS recency FROM mem JOIN asked USING (conv_id)")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memloom.sources.ship import ship
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
