@@ -47,7 +47,7 @@ from memloom.sources.tables import counted, norm_type
 
 NUM, DEN = 3, 5
 #: Rows of the sample for company and plan costs.
-SAMPLE = 15_000
+SAMPLE = 8_000
 #: Words in this share of records or more are looked at for company; at most mean set size / FREQUENT words.
 FREQUENT = 0.002
 COMMON = 0.05
@@ -353,11 +353,11 @@ def _wanted(reps: DataFrame, plan: Plan) -> np.ndarray | None:
                 bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), pos & np.uint64(63)), at)
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], schema=schema)
 
-    rows = reps.select("words").mapInArrow(run, "w BIGINT, b BIGINT").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # MAP_BITS / 64 rows at most
-    if not len(rows):
+    rows = reps.select("words").mapInArrow(run, "w BIGINT, b BIGINT").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # MAP_BITS / 64 rows at most
+    if not rows.num_rows:
         return None
     bits = np.zeros(MAP_BITS // 64, np.int64)
-    bits[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return bits.view(np.uint8)
 
 
