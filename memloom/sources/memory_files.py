@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.schema import MEMORY_FILE
 
-VERSION = "0.6.2"
+VERSION = "1"
 
 
 class CorruptMemoryError(RuntimeError):

@@ -57,7 +57,7 @@ def call_model(turns: DataFrame, client: Callable[[], Callable[[str, str, int],
                 reply, error, room, k = None, None, max_tokens, 0
                 for k in range(1, attempts + 1):
                     try:
-                        reply = ask(prompt + (REMINDER if k > 1 else ""), f"RECENT CONTEXT:\n{context}\n\nCURRENT TURN INDEX: {turn}\nCURRENT TURN:\n{text}", room)
+                        reply = ask(prompt + (REMINDER if k > 1 else ""), f"Turn {turn}:\n{text}\n\nBefore it:\n{context}", room)
                     except FatalBackendError:
                         raise
                     except Exception as x:  # noqa: BLE001

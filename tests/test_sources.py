@@ -4,6 +4,7 @@ import pytest
 
 from memloom.functions import jsonx
 from memloom.operators import extract, memory
+from memloom.memory import ConversationMemory
 from memloom.sources import memory_files, models
 from memloom.streaming.memory_stream import kept_rows, merge_stream
 from test_memory import random_patches
@@ -60,7 +61,7 @@ def test_calls(spark):
         seen = {}
 
         def ask(prompt, text, room):
-            turn = int(text.split("CURRENT TURN INDEX: ")[1].split("\n")[0])
+            turn = int(text.split("Turn ")[1].split(":")[0])
             seen[turn] = seen.get(turn, 0) + 1
             if turn == 1 and seen[turn] < 3:
                 raise OSError("down")
@@ -84,3 +85,39 @@ def test_stream_equals_batch(spark, patches_of, tmp_path):
         q.awaitTermination()
     kept = {(r.conv_id, r.row_id) for r in kept_rows(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert kept == {(r.conv_id, r.row_id) for r in memory.merge_memory(m).where("kept").collect()}
+
+
+def test_conversation_memory(spark, tmp_path):
+    def reply(*items):
+        return json.dumps([{"type": t, "payload": p, "patch_id": "x"} for t, p in items])
+
+    turns = [(1, 0, "user", "Fee is 0.5%", reply(("constraint", "max fee 0.5%"), ("slot", "taxi.to = north"))), (1, 1, "user", "Fee is 0.3%", reply(("constraint", "max fee 0.3%"))), (2, 0, "user", "hm", "junk")]
+    schema = "conv_id BIGINT, turn_index INT, role STRING, text STRING, llm_response STRING"
+    m = ConversationMemory(spark)
+    for t in (turns[:1], turns[1:]):  # in two batches
+        m.add_turns(spark.createDataFrame(t, schema))
+    assert {r.payload for r in m.all_patches.collect()} == {"max fee 0.3%", "taxi.to = north"}
+    assert [r.payload for r in m.critical_patches.collect()] == ["max fee 0.3%"]
+    assert [(r.conv_id, r.error_type) for r in m.error_log.collect()] == [(2, "parse_failure")]
+    assert m.stats().first().context_built is False
+    m.set_budget(100)
+    ctx = m.get_context().first()
+    assert ctx.context == "[CON] max fee 0.3%\n[SLOT] taxi.to = north" and ctx.budget == 100
+    s = m.stats().first()
+    assert (s.crr, s.context_built, s.conversation_tokens) == (100.0, True, 12)
+    m.save(str(tmp_path / "s"))
+    other = ConversationMemory(spark)
+    other.load(str(tmp_path / "s"))
+    other.load(str(tmp_path / "s"))
+    assert other.all_patches.count() == 2
+    m.reset()
+    assert m.all_patches.count() == 0
+    with pytest.raises(RuntimeError):
+        m.add_turns(spark.createDataFrame(turns, schema).drop("llm_response"))
+
+    def client():
+        return lambda prompt, text, room: reply(("code", "use lib " + text[5]))
+
+    auto = ConversationMemory(spark, client=client)
+    auto.add_turns(spark.createDataFrame(turns, schema).drop("llm_response"))
+    assert auto.all_patches.count() == 3
