@@ -37,6 +37,8 @@ MIN_DOCS = 200
 #: Cut of the squared distance: the 97.5 % point of the chi-squared distribution with 7 degrees of freedom.
 CUTOFF = 16.01
 MIN_COSINE = 0.1
+#: Least scale of a feature as a share of its mean deviation; matters where the median deviation is 0.
+MEAN_SHARE = 0.5
 SHARE = 0.5
 #: Advertising words that a promotional line has at least.
 LINE_ADS = 0.05
@@ -198,8 +200,7 @@ def robust_models(features: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray
 
     away = both.select("model", *(F.abs(F.col(f) - by_model(centre, i)).alias(f) for i, f in enumerate(FEATURES)))
     spread = away.groupBy("model").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f) for f in FEATURES), *(F.avg(f).alias(f"m_{f}") for f in FEATURES)).collect()
-    # Where more than half of the values are equal the mean deviation takes the place of the median one.
-    scale = {r.model: np.array([max(1.4826 * r[1 + i], 0.2 * 1.2533 * r[1 + k + i], 1e-3) for i in range(k)]) for r in spread}
+    scale = {r.model: np.array([max(1.4826 * r[1 + i], MEAN_SHARE * 1.2533 * r[1 + k + i], 1e-3) for i in range(k)]) for r in spread}
     z = [F.greatest(F.lit(-2.5), F.least(F.lit(2.5), (F.col(f) - by_model(centre, i)) / by_model(scale, i))).alias(f"z{i}") for i, f in enumerate(FEATURES)]
     products = [F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1)]
     models = {}
