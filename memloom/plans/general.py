@@ -105,7 +105,7 @@ WITH rows AS (SELECT conv_id, turn_index, lower(trim(slot_key, ' ')) AS slot_key
   JOIN saves s ON s.conv_id = r.conv_id AND s.turn_index = r.turn_index WHERE r.payload IS NOT NULL)
 , marked AS (SELECT *, CASE WHEN lag(same) OVER w = same AND lag(save_no) OVER w + 1 = save_no THEN 0 ELSE 1 END AS starts FROM held WINDOW w AS (PARTITION BY conv_id, slot_key ORDER BY save_no))
 , runs AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, slot_key ORDER BY save_no) AS run FROM marked)
-, versions AS (SELECT conv_id, slot_key, run AS version_no, min(turn_index) AS valid_from, arg_max(next_turn, save_no) AS valid_to, count(*) AS n_saves FROM runs GROUP BY 1, 2, 3)
+, versions AS (SELECT conv_id, slot_key, run::BIGINT AS version_no, min(turn_index) AS valid_from, arg_max(next_turn, save_no) AS valid_to, count(*) AS n_saves FROM runs GROUP BY 1, 2, 3)
 """
 
 ORACLES: dict[str, str] = {

@@ -405,7 +405,7 @@ def recent_turns(spark: SparkSession, d: str) -> DataFrame:
     return extract.recent_turns(turns(spark, d)).select("conv_id", "turn_index", "context")
 
 
-@query(TURNS + f"SELECT conv_id, turn_index, sum({_tokens('text')}) OVER (PARTITION BY conv_id ORDER BY turn_index) AS history_tokens FROM turns")
+@query(TURNS + f"SELECT conv_id, turn_index, (sum({_tokens('text')}) OVER (PARTITION BY conv_id ORDER BY turn_index))::BIGINT AS history_tokens FROM turns")
 def history_growth(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, 0)
     return turns(spark, d).select("conv_id", "turn_index", F.sum(text.count_tokens(F.col("text"))).over(w).alias("history_tokens"))
@@ -490,12 +490,12 @@ def superseded(spark: SparkSession, d: str) -> DataFrame:
     return memory.merge_memory(mem(spark, d)).where("superseded_by IS NOT NULL").select("conv_id", "row_id", "superseded_by")
 
 
-@query(MEM + "SELECT conv_id, count(*) AS n_patches, sum(token_cost) AS patch_tokens FROM mem GROUP BY 1")
+@query(MEM + "SELECT conv_id, count(*) AS n_patches, sum(token_cost)::BIGINT AS patch_tokens FROM mem GROUP BY 1")
 def memory_tokens(spark: SparkSession, d: str) -> DataFrame:
     return mem(spark, d).groupBy("conv_id").agg(F.count("*").alias("n_patches"), F.sum("token_cost").alias("patch_tokens"))
 
 
-@query(MEM + "SELECT conv_id, patch_type, sum(token_cost) AS used FROM mem GROUP BY 1, 2")
+@query(MEM + "SELECT conv_id, patch_type, sum(token_cost)::BIGINT AS used FROM mem GROUP BY 1, 2")
 def tokens_by_type(spark: SparkSession, d: str) -> DataFrame:
     return mem(spark, d).groupBy("conv_id", "patch_type").agg(F.sum("token_cost").alias("used"))
 
