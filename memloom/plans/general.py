@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.operators import hierarchy, history, orphans, slots
+from memloom.plans import slots_sql
 from memloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +110,7 @@ WITH rows AS (SELECT conv_id, turn_index, lower(trim(slot_key, ' ')) AS slot_key
 """
 
 ORACLES: dict[str, str] = {
+    "p4_found": slots_sql.cells(_COUNTED),
     "p1_found": _TREE
     + "SELECT conv_id, patch_id, CASE WHEN ring THEN 'cycle:' || list_min(seen[list_position(seen, at_id):]) ELSE at_id END AS root_id FROM ends",
     "p2_found": _REFS + "SELECT * FROM orphans",
