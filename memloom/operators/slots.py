@@ -36,7 +36,7 @@ MONTHS = ["january", "february", "march", "april", "may", "june", "july", "augus
 
 _NOTE = re.compile(r"\s*(?:\[\s*slots?\s*\]\s*)?([^\W_][\w -]*?)\s*\.\s*([\w -]+?)\s*(?:->|=>|:=|→|=|:)\s*(.*?)\s*", re.I | re.S)
 _UNIT = r"(?:[a-z%€$£]+\.?(?:\s+[a-z]+\.?)*)"
-_INT = re.compile(rf"(?:[€$£]|[a-z]+\s)?\s*([+-]?\d{{1,18}})\s*{_UNIT}?")
+_INT = re.compile(rf"(?:[€$£]|[a-z]+\s)?\s*([+-]?\d{{1,18}})(?:[.,]0*)?\s*{_UNIT}?")
 _DOUBLE = re.compile(rf"(?:[€$£]|[a-z]+\s)?\s*([+-]?\d{{1,15}}(?:[.,]\d*)?)\s*{_UNIT}?")
 _TIME = re.compile(r"(\d{1,2}):(\d{2})(?::\d{2})?\s*(a\.?m\.?|p\.?m\.?|h|hrs?|uhr)?")
 _CLOCK = re.compile(r"(\d{2})(\d{2})(?:\s*(?:h|hrs?|uhr))?")

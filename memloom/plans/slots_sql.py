@@ -44,7 +44,7 @@ def cells(counted: str) -> str:
 , cells AS (SELECT conv_id, service, attr_name, CASE kind
     WHEN 'string' THEN v
     WHEN 'boolean' THEN CASE WHEN list_contains({_list(sorted(slots.TRUE))}, v) THEN 'true' WHEN list_contains({_list(sorted(slots.FALSE))}, v) THEN 'false' END
-    WHEN 'int' THEN CASE WHEN regexp_full_match(v, '{_LEAD}[+-]?\d{{1,18}}\s*{_UNIT}?') THEN regexp_extract(v, '([+-]?\d{{1,18}})', 1)::BIGINT::VARCHAR
+    WHEN 'int' THEN CASE WHEN regexp_full_match(v, '{_LEAD}[+-]?\d{{1,18}}(?:[.,]0*)?\s*{_UNIT}?') THEN regexp_extract(v, '([+-]?\d{{1,18}})', 1)::BIGINT::VARCHAR
       WHEN list_contains({_NUMBERS}, split_part(v, ' ', 1)) AND regexp_full_match(v, '[a-z]+(?: {_UNIT})?') AND NOT list_has_any(string_split(v, ' ')[2:], list_concat(['or', 'to'], {_NUMBERS})) THEN (list_position({_NUMBERS}, split_part(v, ' ', 1)) - 1)::VARCHAR END
     WHEN 'double' THEN CASE WHEN regexp_full_match(v, '{_LEAD}[+-]?\d{{1,15}}(?:[.,]\d*)?\s*{_UNIT}?') THEN printf('%.2f', replace(regexp_extract(v, '([+-]?\d{{1,15}}(?:[.,]\d*)?)', 1), ',', '.')::DOUBLE) END
     WHEN 'time' THEN CASE WHEN h < 24 AND mi < 60 THEN lpad(h::VARCHAR, 2, '0') || ':' || lpad(mi::VARCHAR, 2, '0') END

@@ -5,7 +5,7 @@ import pytest
 from memloom.operators import slots
 
 CASES = [
-    ("7", "int", "7"), ("007", "int", "7"), ("37 units", "int", "37"), ("twelve", "int", "12"), ("a few", "int", None), ("1-2", "int", None), ("3 or 4", "int", None), ("4.5", "int", None),
+    ("7", "int", "7"), ("007", "int", "7"), ("37 units", "int", "37"), ("twelve", "int", "12"), ("a few", "int", None), ("1-2", "int", None), ("3 or 4", "int", None), ("4.5", "int", None), ("9.0", "int", "9"),
     ("€996.22", "double", "996.22"), ("EUR 640.30", "double", "640.30"), ("349,5 EUR", "double", "349.50"), ("$ 7", "double", "7.00"), ("1.2.3", "double", None), ("low", "double", None),
     ("Yes", "boolean", "true"), ("OFF", "boolean", "false"), ("0", "boolean", "false"), ("maybe", "boolean", None),
     ("2031-06-25", "date", "2031-06-25"), ("2031/06/05", "date", "2031-06-05"), ("26.11.2031", "date", "2031-11-26"), ("5 June 2032", "date", "2032-06-05"), ("Oct 7, 2032", "date", "2032-10-07"), ("2032-13-01", "date", None), ("soon", "date", None),
