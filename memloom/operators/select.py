@@ -20,6 +20,7 @@ from memloom.operators.hierarchy import _groups
 from memloom.operators.memory import is_critical
 from memloom.operators.score import auto_budget, budget_floor, shadow_filter
 from memloom.schema import TYPES, UNITS, MemoryConfig
+from memloom.sources.scratch import materialize
 
 _token = regex.compile(TOKEN)
 _digit = regex.compile(r"\d")
@@ -178,7 +179,7 @@ def greedy_fill(others: DataFrame, room: DataFrame) -> DataFrame:
 def select_rows(memory: DataFrame, cfg: MemoryConfig | None = None) -> DataFrame:
     """(conv_id, pos, patch_id, patch_type, payload, token_cost, critical): criticals in order, then the picks."""
     cfg = cfg or MemoryConfig()
-    critical = fit_criticals(memory, cfg)
+    critical = materialize(fit_criticals(memory, cfg), "fitted")
     used = critical.where("status = 'OK'").groupBy("conv_id").agg(F.sum("token_cost").cast("int").alias("used"), F.first("mode").alias("mode"))
     failed = critical.where("status <> 'OK'").select("conv_id").distinct()
     room = with_budget(memory, cfg).where("status = 'OK'").join(failed, "conv_id", "left_anti").join(used, "conv_id", "left").select("conv_id", "budget", F.coalesce("used", F.lit(0)).alias("used"))

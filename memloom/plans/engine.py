@@ -21,7 +21,7 @@ def default_queries(memory: DataFrame) -> DataFrame:
 
 def shrink(memory: DataFrame) -> DataFrame:
     """Deduplication, fusion and pruning, in the order that leaves fewest rows to score."""
-    return t4_prune(t2_fusion(t1_dedup(memory)).drop("pos_turn", "pos_row"))
+    return t4_prune(materialize(t2_fusion(t1_dedup(memory)).drop("pos_turn", "pos_row"), "fused"))
 
 
 def compress(memory: DataFrame, queries: DataFrame | None = None, cfg: MemoryConfig | None = None, strict: bool = False) -> DataFrame:
