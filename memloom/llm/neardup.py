@@ -21,9 +21,9 @@ adaptive execution where a hash is hot), prefiltered by a 48-bit parity sketch w
 verified exactly on the words.  Nothing is sampled but the rows from which frequencies of company and plan costs are estimated
 (``SAMPLE``); these decide cost, never results.
 
-Equal word sets are one class: signatures are emitted for its first row only.  Pairs are given between all rows of classes of
-up to ``EXPAND`` rows; larger classes are linked by their first row (a row per member), so no link between different texts is
-lost and no group is squared.
+Equal word sets are one class: signatures are emitted for its first row only.  With ``most`` None, as in the query p3_found,
+pairs are given between all rows of all classes, large classes in blocks of ``BLOCK`` rows; else classes of more than ``most``
+rows are linked by their first row only, and the other pairs of their rows are left out.
 
 Null payloads, payloads without words and patches of type slot have no pairs; repeated rows count once (counted rows).
 """
@@ -54,6 +54,8 @@ COMMON = 0.05
 #: Subsets that a record may emit per partition; wider records take the single-word way.
 MAX_SUBSETS = 400
 EXPAND = 50
+#: Rows of a class that meet as many of another, or of its own, in one key of the joins that list all pairs.
+BLOCK = 1_000
 MAP_BITS = 1 << 26
 #: Number of the partition of all middling words.
 JOINT = -1
@@ -448,24 +450,37 @@ def similar_sets(reps: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     )
 
 
-def expand(pairs: DataFrame, members: DataFrame, most: int = EXPAND) -> DataFrame:
-    """Pairs between first rows, and members of classes, to pairs of rows; classes beyond ``most`` rows stay linked by their first."""
-    small = members.where(F.col("n") <= most)
-    a = small.select(F.col("rep").alias("row_id_a"), F.col("row_id").alias("ma"))
-    b = small.select(F.col("rep").alias("row_id_b"), F.col("row_id").alias("mb"))
-    between = pairs.select("row_id_a", "row_id_b").join(a, "row_id_a", "left").join(b, "row_id_b", "left").select(F.coalesce("ma", "row_id_a").alias("x"), F.coalesce("mb", "row_id_b").alias("y"))
-    x, y = small.select("rep", F.col("row_id").alias("x")), small.select("rep", F.col("row_id").alias("y"))
-    within = x.join(y, "rep").where("x < y").select("x", "y")
-    star = members.where((F.col("n") > most) & (F.col("row_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("row_id").alias("y"))
-    return between.unionByName(within).unionByName(star).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
+def expand(pairs: DataFrame, members: DataFrame, most: int | None = EXPAND) -> DataFrame:
+    """Pairs between first rows, and members of classes, to all pairs of rows.
 
-
-def found(patches: DataFrame) -> DataFrame:
-    """(row_id_a, row_id_b), a < b."""
+    With ``most``, classes beyond so many rows stay linked by their first row only.
+    """
+    of = F.ceil(F.col("n") / BLOCK).cast("int")
+    full = (members if most is None else members.where(F.col("n") <= most)).select("rep", "row_id", of.alias("of"), F.pmod(F.xxhash64("row_id"), of).cast("int").alias("block"))
+    split = full.where("of > 1 AND rep = row_id")
+    between = pairs.select("row_id_a", "row_id_b")
+    for side in "ab":
+        row = f"row_id_{side}"
+        parts = split.select(F.col("rep").alias(row), F.col("of").alias("of_" + side))
+        rows = full.select(F.col("rep").alias(row), F.col("block").alias("block_" + side), F.col("row_id").alias("m" + side))
+        between = between.join(parts, row, "left").withColumn("block_" + side, F.explode(F.sequence(F.lit(0), F.coalesce("of_" + side, F.lit(1)) - 1))).join(rows, [row, "block_" + side], "left")
+    # A class of one row has no members; a block of a split class may be empty.
+    x, y = (F.coalesce("m" + s, F.when(F.col("of_" + s).isNull(), F.col("row_id_" + s))) for s in "ab")
+    between = between.select(x.alias("x"), y.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    left = full.select("rep", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("of") - 1)).alias("j"), F.col("row_id").alias("x"))
+    right = full.select("rep", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("row_id").alias("y"))
+    out = between.unionByName(left.join(right, ["rep", "i", "j"]).where("i < j OR x < y").select("x", "y"))
+    if most is not None:
+        out = out.unionByName(members.where((F.col("n") > most) & (F.col("row_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("row_id").alias("y")))
+    return out.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
+
+
+def found(patches: DataFrame, most: int | None = EXPAND) -> DataFrame:
+    """(row_id_a, row_id_b), a < b; all pairs with ``most`` None."""
     sets = materialize(word_sets(patches), "sets")
     reps, members = classes(sets)
     members = materialize(members, "members")
-    return expand(similar_sets(reps), members)
+    return expand(similar_sets(reps), members, most)
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

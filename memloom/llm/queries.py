@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.found(table(spark, d, "patches"))
+    return neardup.found(table(spark, d, "patches"), most=None)
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from memloom.llm import neardup
+from memloom.llm import neardup, queries
 
 
 def brute(rows):
@@ -100,3 +100,14 @@ def test_groups_are_components(patches_of):
         root[y] = x
     got = {r.row_id: r.group_id for r in neardup.groups(df).collect()}
     assert got == {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("block", [1_000, 4])
+def test_query_lists_all_pairs_of_large_classes(spark, patches_of, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    a, b = ["one two three four five six", "Six FIVE four three two one one"], ["one two three four five seven", "seven one two three four five"]
+    rows = list(enumerate([a[i % 2] for i in range(61)] + [b[i % 2] for i in range(55)] + ["one two three four five six eight", "quite another text"]))
+    patches_of([{"row_id": i, "patch_id": f"p{i}", "payload": p} for i, p in rows]).write.parquet(f"{tmp_path}/patches.parquet")
+    got = [tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute(rows)
