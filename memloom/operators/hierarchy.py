@@ -19,6 +19,7 @@ an empty table: an empty result; further columns of the input are ignored, whate
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -125,6 +126,11 @@ def _rows(conv: int, ids: list[str], parent: list[int], full: bool, out: dict[st
     for i in reversed(order):
         if parent[i] >= 0 and not (cycle[i] and depth[i] == 0):
             below[parent[i]] += below[i] + 1
+    # On a circle each node has all others of its component below it.
+    sizes = Counter(cycle)
+    for i, c in enumerate(cycle):
+        if c and depth[i] == 0:
+            below[i] = sizes[c] - 1
     for i, p in enumerate(parent):
         for k, v in (("conv_id", conv), ("patch_id", ids[i]), ("parent_id", ids[p] if p >= 0 else None), ("root_id", cycle[i] or ids[root[i]]), ("depth", depth[i]), ("path", paths[i]), ("n_descendants", below[i]), ("on_cycle", bool(cycle[i]) and depth[i] == 0)):
             out[k].append(v)
@@ -221,11 +227,13 @@ def _giant(links: DataFrame, roots: DataFrame) -> DataFrame:
         )
         done = done.unionByName(front)
     below = done.select("conv_id", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("patch_id")).groupBy("conv_id", "patch_id").agg(F.count("*").alias("n_descendants"))
+    others = level.groupBy("conv_id", "root_id").agg((F.count("*") - 1).alias("others"))
     return (
         level.drop("depth")
         .join(done, ["conv_id", "patch_id"])
         .join(below, ["conv_id", "patch_id"], "left")
-        .select("conv_id", "patch_id", "parent_id", "root_id", F.col("depth").cast("int").alias("depth"), "path", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), "on_cycle")
+        .join(others, ["conv_id", "root_id"])
+        .select("conv_id", "patch_id", "parent_id", "root_id", F.col("depth").cast("int").alias("depth"), "path", F.when(F.col("on_cycle"), F.col("others")).otherwise(F.coalesce("n_descendants", F.lit(0))).alias("n_descendants"), "on_cycle")
     )
 
 
@@ -258,14 +266,39 @@ def _hierarchy(patches: DataFrame, full: bool, block_rows: int) -> DataFrame:
 def hierarchy(patches: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per counted patch: parent, root, depth, path from the root (or from the circle), number of dependents.
 
-    ``root_id`` is ``cycle:`` and the least id of the circle where the chain of parents ends in one.
+    Those of a node of a circle are all others of its component: the rest of the circle and the trees below it.  ``root_id`` is ``cycle:`` and the least id of the circle where the chain of parents ends in one.
     """
     return _hierarchy(patches, True, block_rows)
 
 
+def _places(rings: DataFrame) -> DataFrame:
+    """(conv_id, root_id, ancestor_id, place, size): nodes of circles numbered along their parents."""
+    schema = pa.schema([("conv_id", pa.int64()), ("root_id", pa.string()), ("ancestor_id", pa.string()), ("place", pa.int32()), ("size", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (conv, root), (ids, parents) in _groups(batches, ["conv_id", "root_id"], ["patch_id", "parent_id"]):
+            up, n = dict(zip(ids, parents, strict=True)), len(ids)
+            ring = [ids[0]]
+            while len(ring) < n:
+                ring.append(up[ring[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array([conv] * n, pa.int64()), pa.array([root] * n), pa.array(ring), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32())], schema=schema)
+
+    rows = rings.select("conv_id", "root_id", "patch_id", "parent_id").repartition("conv_id", "root_id").sortWithinPartitions("conv_id", "root_id")
+    return rows.mapInArrow(run, "conv_id BIGINT, root_id STRING, ancestor_id STRING, place INT, size INT")
+
+
 def descendants(tree: DataFrame) -> DataFrame:
-    """(conv_id, ancestor_id, patch_id, distance) for all pairs on a path; the size is the sum of the depths."""
-    return tree.select("conv_id", "patch_id", "depth", F.posexplode("path").alias("pos", "ancestor_id")).where("pos < depth").select("conv_id", "ancestor_id", "patch_id", (F.col("depth") - F.col("pos")).alias("distance"))
+    """(conv_id, ancestor_id, patch_id, distance) for all pairs of a patch and another that its chain of parents meets.
+
+    A chain that ends in a circle meets all nodes of the circle, so these are the ancestors of each other and of all below.
+    """
+    tree = materialize(tree.select("conv_id", "patch_id", "parent_id", "root_id", "depth", "path", "on_cycle"), "tree")
+    on_path = tree.select("conv_id", "patch_id", "depth", F.posexplode("path").alias("pos", "ancestor_id")).where("pos < depth").select("conv_id", "ancestor_id", "patch_id", (F.col("depth") - F.col("pos")).alias("distance"))
+    places = materialize(_places(tree.where("on_cycle")), "places").where("size > 1")
+    entry = places.select("conv_id", "root_id", F.col("ancestor_id").alias("entry_id"), F.col("place").alias("start"))
+    ends = tree.where("root_id LIKE 'cycle:%'").select("conv_id", "root_id", "patch_id", "depth", F.col("path")[0].alias("entry_id")).join(entry, ["conv_id", "root_id", "entry_id"])
+    round_ = ends.join(places, ["conv_id", "root_id"]).where("ancestor_id <> entry_id").select("conv_id", "ancestor_id", "patch_id", (F.col("depth") + F.pmod(F.col("place") - F.col("start"), F.col("size"))).alias("distance"))
+    return on_path.unionByName(round_)
 
 
 def found(patches: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

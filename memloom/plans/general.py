@@ -23,6 +23,10 @@ def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return tree.select("conv_id", "patch_id", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "root_id", "depth", F.array_join("path", "/").alias("path"), "n_descendants", "on_cycle")
 
 
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(hierarchy.hierarchy(table(spark, d, "patches")))
+
+
 def _orphans(spark: SparkSession, d: str, f: Callable) -> DataFrame:
     return f(table(spark, d, "patches"), table(spark, d, "context_items"), table(spark, d, "deleted_patches"))
 
@@ -51,7 +55,7 @@ def p5_history(spark: SparkSession, d: str) -> DataFrame:
     return history.history(table(spark, d, "memory_snapshots")).select("conv_id", "slot_key", "version_no", "valid_from", "valid_to", "n_saves")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p2_found, p2_counts, p4_found, p4_wide, p5_found, p5_history)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p2_counts, p4_found, p4_wide, p5_found, p5_history)}
 
 _COUNTED = """
 WITH RECURSIVE counted AS (
@@ -113,6 +117,7 @@ ORACLES: dict[str, str] = {
     "p4_found": slots_sql.cells(_COUNTED),
     "p1_found": _TREE
     + "SELECT conv_id, patch_id, CASE WHEN ring THEN 'cycle:' || list_min(seen[list_position(seen, at_id):]) ELSE at_id END AS root_id FROM ends",
+    "p1_descendants": _TREE + "SELECT conv_id, at_id AS ancestor_id, patch_id, (len(seen) - 1)::INT AS distance FROM up WHERE NOT ring AND len(seen) > 1",
     "p2_found": _REFS + "SELECT * FROM orphans",
     "p2_counts": _REFS + "SELECT src_table, src_month, ref_state, count(*) AS n_refs FROM orphans GROUP BY 1, 2, 3",
     "p5_found": _HISTORY + "SELECT conv_id, slot_key, valid_from, valid_to FROM versions",

@@ -72,3 +72,20 @@ def test_long_chain_and_cycle_on_the_spread_way(patches_of):
     rows += [{"conv_id": 2, "patch_id": f"q{i}_0", "dependencies": [f"q{i - 1}_0" if i else "p4_0"]} for i in range(20)]
     got = {(r.conv_id, r.root_id) for r in hierarchy.found(patches_of(rows), 3).collect()}
     assert got == {(1, "p0_0"), (2, "cycle:p0_0")}
+
+
+@pytest.mark.parametrize("block", [200_000, 15, 3])
+def test_dependents_include_the_circle(patches_of, block):
+    deps = {f"p{i}": f"p{(i + 1) % 4}" for i in range(4)} | {"a": "p1", "b": "a", "c": "b", "d": "p3", "x": "y", "y": "x", "s": "s", "t": "s", "r": None, "q": "r"}
+    rows = [{"conv_id": c, "patch_id": p, "dependencies": [d]} for c in (1, 2) for p, d in deps.items()]
+    want = {}
+    for p in deps:
+        x, n = deps[p], 1
+        while x is not None and x != p and (x, p) not in want:
+            want[x, p] = n
+            x, n = deps[x], n + 1
+    tree = hierarchy.hierarchy(patches_of(rows), block)
+    assert {(r.conv_id, r.patch_id): r.n_descendants for r in tree.collect()} == {(c, p): sum(a == p for a, _ in want) for c in (1, 2) for p in deps}
+    got = [tuple(r) for r in hierarchy.descendants(tree).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(c, a, p, n) for c in (1, 2) for (a, p), n in want.items()}
