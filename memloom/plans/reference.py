@@ -545,10 +545,12 @@ def t6_select(spark: SparkSession, d: str) -> DataFrame:
     return select.select_rows(mem(spark, d)).select("conv_id", "critical", "pos", "patch_id", "payload", "token_cost", "mode")
 
 
-def _render(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    """The first two critical rows and the first other row of each conversation, in a given mode."""
+def _render(spark: SparkSession, d: str, mode: str, whole: bool = False) -> DataFrame:
+    """All rows of each conversation in a given mode; unless whole, only the first two critical ones and the first other one."""
     w = Window.partitionBy("conv_id", "critical").orderBy("turn_index", "row_id")
-    rows = mem(spark, d).withColumn("critical", memory.is_critical()).withColumn("pos", F.row_number().over(w)).where("pos <= IF(critical, 2, 1)")
+    rows = mem(spark, d).withColumn("critical", memory.is_critical()).withColumn("pos", F.row_number().over(w))
+    if not whole:
+        rows = rows.where("pos <= IF(critical, 2, 1)")
     return select.render(rows.withColumn("mode", F.lit(mode))).select("conv_id", "context")
 
 
@@ -574,6 +576,28 @@ def render_ultra(spark: SparkSession, d: str) -> DataFrame:
     return _render(spark, d, "ultra")
 
 
+_ALL = MEM + f", r AS (SELECT *, {_CRIT} AS crit, row_number() OVER (PARTITION BY conv_id, {_CRIT} ORDER BY turn_index, row_id) AS pos FROM mem)"
+
+
+@query(_ALL + f" SELECT conv_id, string_agg({_line()}, chr(10) ORDER BY NOT crit, pos) AS context FROM r GROUP BY 1")
+def render_context_all(spark: SparkSession, d: str) -> DataFrame:
+    return _render(spark, d, "off", whole=True)
+
+
+@query(_ALL + _MERGED.replace("{sep}", "; ") + f", ls AS (SELECT conv_id, 0 AS part, patch_type, 0 AS pos, {_line('patch_type', 'p')} AS line FROM g UNION ALL SELECT conv_id, 1, '', pos, {_line()} FROM r WHERE NOT crit) SELECT conv_id, string_agg(line, chr(10) ORDER BY part, patch_type, pos) AS context FROM ls GROUP BY 1")
+def render_dense_all(spark: SparkSession, d: str) -> DataFrame:
+    return _render(spark, d, "dense", whole=True)
+
+
+@query(
+    _ALL + _MERGED.replace("{sep}", " ") + ", u AS (SELECT conv_id, string_agg('[' || upper(patch_type[1:1]) || '] ' || p, ' ' ORDER BY patch_type) AS line FROM g GROUP BY 1)"
+    f", o AS (SELECT conv_id, string_agg({_line()}, chr(10) ORDER BY pos) AS lines FROM r WHERE NOT crit GROUP BY 1)"
+    " SELECT i.conv_id, concat_ws(chr(10), coalesce(u.line, ''), o.lines) AS context FROM (SELECT DISTINCT conv_id FROM r) i LEFT JOIN u USING (conv_id) LEFT JOIN o USING (conv_id)"
+)
+def render_ultra_all(spark: SparkSession, d: str) -> DataFrame:
+    return _render(spark, d, "ultra", whole=True)
+
+
 @query()
 def compress(spark: SparkSession, d: str) -> DataFrame:
     m = mem(spark, d)

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +251,14 @@ def test_score_and_shadow(mem):
 def test_config():
     with pytest.raises(ValueError):
         MemoryConfig(budget=0)
+
+
+def test_whole_conversations_are_rendered(spark, patches_of, tmp_path):
+    from memloom.plans import reference
+
+    rows = [{"patch_id": f"p{i}", "turn_index": i, "patch_type": ("constraint", "decision", "entity")[i % 3], "payload": f"text{i}"} for i in range(15)]
+    patches_of(rows).write.parquet(f"{tmp_path}/patches.parquet")
+    for f in (reference.render_context_all, reference.render_dense_all, reference.render_ultra_all):
+        context = f(spark, str(tmp_path)).first().context
+        assert all(re.search(rf"\btext{i}\b", context) for i in range(15))
+    assert context.splitlines()[0] == "[C] " + " ".join(f"text{i}" for i in range(0, 15, 3)) + " [D] " + " ".join(f"text{i}" for i in range(1, 15, 3))
