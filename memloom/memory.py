@@ -39,6 +39,7 @@ class ConversationMemory:
         self.rows = self.spark.createDataFrame([], ROWS)
         self.errors = self.spark.createDataFrame([], "conv_id BIGINT, turn_index INT, error_type STRING")
         self.tokens = self.spark.createDataFrame([], "conv_id BIGINT, conversation_tokens BIGINT")
+        self.calls = self.spark.createDataFrame([], "conv_id BIGINT, llm_calls BIGINT, llm_errors BIGINT")
         self.contexts: DataFrame | None = None
 
     def set_budget(self, budget: int) -> None:
@@ -47,11 +48,15 @@ class ConversationMemory:
     def add_turns(self, turns: DataFrame) -> DataFrame:
         """turns (conv_id, turn_index, role, text[, llm_response]); gives the rows extracted from them."""
         turns = turns.withColumn("turn_index", F.col("turn_index").cast("int"))
-        if "llm_response" not in turns.columns:
+        sent = "llm_response" not in turns.columns
+        if sent:
             if self.client is None:
                 raise RuntimeError("turns without recorded replies need a client")
             turns = call_model(recent_turns(turns), self.client, PROMPT, on_error=self.on_error)
         turns = materialize(turns, "turns")
+        if sent:
+            made = turns.groupBy("conv_id").agg(F.sum("attempts").alias("llm_calls"), F.sum("failed").alias("llm_errors"))
+            self.calls = materialize(self.calls.unionByName(made).groupBy("conv_id").agg(F.sum("llm_calls").alias("llm_calls"), F.sum("llm_errors").alias("llm_errors")), "calls")
         spoken = turns.groupBy("conv_id").agg(F.sum(text.count_tokens(F.col("text"))).alias("conversation_tokens"))
         self.tokens = materialize(self.tokens.unionByName(spoken).groupBy("conv_id").agg(F.sum("conversation_tokens").alias("conversation_tokens")), "spoken")
         self.errors = materialize(self.errors.unionByName(extraction_errors(turns)), "errors")
@@ -73,8 +78,8 @@ class ConversationMemory:
         return self.contexts
 
     def stats(self) -> DataFrame:
-        built = self.contexts if self.contexts is not None else self.spark.createDataFrame([], "conv_id BIGINT, status STRING, n_selected BIGINT, context_tokens BIGINT, n_critical INT, budget INT")
-        return engine.stats(self.rows, built, self.tokens)
+        built = self.contexts if self.contexts is not None else self.spark.createDataFrame([], "conv_id BIGINT, status STRING, n_selected BIGINT, context_tokens BIGINT, critical_selected BIGINT, budget INT")
+        return engine.stats(self.rows, built, self.tokens, self.calls)
 
     @property
     def all_patches(self) -> DataFrame:

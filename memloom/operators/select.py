@@ -190,9 +190,9 @@ def select_rows(memory: DataFrame, cfg: MemoryConfig | None = None) -> DataFrame
 
 
 def render(selected: DataFrame) -> DataFrame:
-    """(conv_id, mode, context, n_selected, context_tokens) by the mode of each conversation's selection."""
+    """(conv_id, mode, context, n_selected, context_tokens, critical_selected) by the mode of each conversation's selection."""
     entry = F.struct(F.when(F.col("critical"), 0).otherwise(1).alias("part"), "pos", "patch_type", "payload")
-    per = selected.groupBy("conv_id").agg(F.first("mode").alias("mode"), F.array_sort(F.collect_list(entry)).alias("rows"), F.count("*").alias("n_selected"), F.sum("token_cost").alias("context_tokens"))
+    per = selected.groupBy("conv_id").agg(F.first("mode").alias("mode"), F.array_sort(F.collect_list(entry)).alias("rows"), F.count("*").alias("n_selected"), F.sum("token_cost").alias("context_tokens"), F.count_if("critical").alias("critical_selected"))
     line = lambda x: text.prompt_line(x["patch_type"], x["payload"])
     rows = F.col("rows")
     plain = F.array_join(F.transform(rows, line), "\n")
@@ -203,4 +203,4 @@ def render(selected: DataFrame) -> DataFrame:
     words = F.concat(*(some(of(k), F.concat(F.lit(f"[{k[0].upper()}] "), F.array_join(of(k), " "))) for k in ("constraint", "decision")))
     ultra = F.concat(F.array(F.array_join(words, " ")), others)
     context = F.when(F.col("mode") == "dense", F.array_join(dense, "\n")).when(F.col("mode") == "ultra", F.array_join(ultra, "\n")).otherwise(plain)
-    return per.select("conv_id", "mode", context.alias("context"), "n_selected", "context_tokens")
+    return per.select("conv_id", "mode", context.alias("context"), "n_selected", "context_tokens", "critical_selected")

@@ -43,7 +43,7 @@ def pick_model(models: DataFrame, preferred: list[str] = ()) -> str | None:
 
 
 def call_model(turns: DataFrame, client: Callable[[], Callable[[str, str, int], str]], prompt: str, attempts: int = 3, max_tokens: int = 2000, on_error: str = "fail", wait: tuple[int, ...] = RETRY_SECONDS) -> DataFrame:
-    """turns (conv_id, turn_index, text, context) with ``llm_response``, ``attempts`` and ``error``.
+    """turns (conv_id, turn_index, text, context) with ``llm_response``, ``attempts``, ``error`` and ``failed`` (calls that raised).
 
     ``client`` is called once per task and gives a function (system prompt, user text, max tokens) -> reply.  Failed calls and
     empty replies are repeated inside the task; an empty one gets twice the tokens.  FatalBackendError is never repeated.
@@ -54,14 +54,14 @@ def call_model(turns: DataFrame, client: Callable[[], Callable[[str, str, int],
         for f in frames:
             out = []
             for turn, text, context in zip(f.turn_index, f.text, f.context, strict=True):
-                reply, error, room, k = None, None, max_tokens, 0
+                reply, error, room, k, failed = None, None, max_tokens, 0, 0
                 for k in range(1, attempts + 1):
                     try:
                         reply = ask(prompt + (REMINDER if k > 1 else ""), f"Turn {turn}:\n{text}\n\nBefore it:\n{context}", room)
                     except FatalBackendError:
                         raise
                     except Exception as x:  # noqa: BLE001
-                        error = str(x)[:300]
+                        error, failed = str(x)[:300], failed + 1
                     else:
                         if reply and reply.strip():
                             error = None
@@ -71,8 +71,8 @@ def call_model(turns: DataFrame, client: Callable[[], Callable[[str, str, int],
                         time.sleep(wait[min(k, len(wait)) - 1])
                 if reply is None and on_error == "fail":
                     raise RuntimeError(f"no reply for turn {turn}: {error}")
-                out.append((reply, k, error))
-            yield f.assign(llm_response=[o[0] for o in out], attempts=[o[1] for o in out], error=[o[2] for o in out])
+                out.append((reply, k, error, failed))
+            yield f.assign(llm_response=[o[0] for o in out], attempts=[o[1] for o in out], error=[o[2] for o in out], failed=[o[3] for o in out])
 
     rows = turns.select("conv_id", F.col("turn_index").cast("int").alias("turn_index"), "text", "context")
-    return rows.mapInPandas(run, "conv_id BIGINT, turn_index INT, text STRING, context STRING, llm_response STRING, attempts INT, error STRING")
+    return rows.mapInPandas(run, "conv_id BIGINT, turn_index INT, text STRING, context STRING, llm_response STRING, attempts INT, error STRING, failed INT")

@@ -262,3 +262,11 @@ def test_whole_conversations_are_rendered(spark, patches_of, tmp_path):
         context = f(spark, str(tmp_path)).first().context
         assert all(re.search(rf"\btext{i}\b", context) for i in range(15))
     assert context.splitlines()[0] == "[C] " + " ".join(f"text{i}" for i in range(0, 15, 3)) + " [D] " + " ".join(f"text{i}" for i in range(1, 15, 3))
+
+
+def test_lost_critical_rows_show(patches_of, monkeypatch):
+    m = memory.memory_rows(patches_of([{"patch_id": f"p{i}", "patch_type": "constraint", "payload": f"limit {i}"} for i in range(4)]))
+    whole = engine.select_rows
+    monkeypatch.setattr(engine, "select_rows", lambda *a: whole(*a).where("patch_id <> 'p2'"))
+    s = engine.stats(m, engine.compress(m)).first()
+    assert (s.critical_selected, s.critical_total, s.crr) == (3, 4, 75.0)

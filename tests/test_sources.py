@@ -121,3 +121,22 @@ def test_conversation_memory(spark, tmp_path):
     auto = ConversationMemory(spark, client=client)
     auto.add_turns(spark.createDataFrame(turns, schema).drop("llm_response"))
     assert auto.all_patches.count() == 3
+
+
+def test_calls_are_counted(spark):
+    def client():
+        asked = []
+
+        def ask(prompt, text, room):
+            asked.append(text)
+            if len(asked) == 1:
+                raise OSError("busy")
+            return json.dumps([{"type": "code", "payload": "use lib " + text[5], "patch_id": "x"}])
+
+        return ask
+
+    m = ConversationMemory(spark, client=client)
+    for turn in range(2):
+        m.add_turns(spark.createDataFrame([(1, turn, "user", "hm")], "conv_id BIGINT, turn_index INT, role STRING, text STRING"))
+    s = m.stats().first()
+    assert (s.llm_calls, s.llm_errors) == (4, 2)
