@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +56,15 @@ def score(memory: DataFrame, queries: DataFrame, cfg: MemoryConfig | None = None
     return rows.withColumn("utility", utility).drop("max_dep", "max_cost", "query", "query_turn", "query_weights", "query_norm", "payload_bag", "n")
 
 
-def query_ema(queries: DataFrame, cfg: MemoryConfig | None = None, window: int = 60) -> DataFrame:
+def query_ema(queries: DataFrame, cfg: MemoryConfig | None = None, window: int | None = None) -> DataFrame:
     """Running mean of each type's mentions: (conv_id, query_no, ema_<type>).
 
-    The recurrence e = a*hit + (1-a)*e is a weighted sum over earlier queries; at a = 0.5 terms older than 60 are below the
-    precision of a double, so a bounded frame gives the same value.
+    The recurrence e = a*hit + (1-a)*e is a weighted sum over earlier queries; terms of a weight below 1e-17 are below the
+    precision of a double, so a frame of as many queries as weigh more gives the same value (57 at a = 0.5).
     """
     a = (cfg or MemoryConfig()).alpha_ema
+    if window is None:
+        window = math.ceil(math.log(1e-17) / math.log(1 - a)) if 0 < a < 1 else 1
     w = Window.partitionBy("conv_id").orderBy("query_no").rowsBetween(-(window - 1), 0)
     cols = []
     for t in TYPES:

@@ -270,3 +270,13 @@ def test_lost_critical_rows_show(patches_of, monkeypatch):
     monkeypatch.setattr(engine, "select_rows", lambda *a: whole(*a).where("patch_id <> 'p2'"))
     s = engine.stats(m, engine.compress(m)).first()
     assert (s.critical_selected, s.critical_total, s.crr) == (3, 4, 75.0)
+
+
+def test_running_mean_of_a_small_alpha(spark):
+    hits = [i < 40 or i % 7 == 0 for i in range(120)]
+    q = spark.createDataFrame([(1, i, "a code" if h else "x") for i, h in enumerate(hits)], "conv_id BIGINT, query_no INT, query STRING")
+    got = {r.query_no: r.ema_code for r in score.query_ema(q, MemoryConfig(alpha_ema=0.05)).collect()}
+    e = 0.0
+    for i, h in enumerate(hits):
+        e = 0.05 * h + 0.95 * e
+        assert got[i] == pytest.approx(e, abs=1e-12)
