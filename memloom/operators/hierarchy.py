@@ -75,7 +75,9 @@ def walk(ids: list[str], parent: list[int]) -> tuple[list[int], list[int], list[
 def _resolve(ids: list[str], deps: list[list[str | None] | None]) -> list[int]:
     at: dict[str, int] = {}
     for i, x in enumerate(ids):
-        at.setdefault(x.strip(" ").lower(), i)
+        key = x.strip(" ").lower()
+        if key not in at or x < ids[at[key]]:
+            at[key] = i
     parent = []
     for d in deps:
         p = -1
@@ -167,14 +169,14 @@ def _kernel(keys: list[str], links: bool, full: bool):
 
 def _hot_links(rows: DataFrame) -> DataFrame:
     """(conv_id, patch_id, parent_id or null) by joins, without gathering a conversation."""
-    ids = rows.select("conv_id", norm_id(F.col("patch_id")).alias("dep")).distinct()
+    ids = rows.groupBy("conv_id", norm_id(F.col("patch_id")).alias("dep")).agg(F.min("patch_id").alias("named"))
     first = (
         rows.select("conv_id", "patch_id", F.posexplode("dependencies").alias("pos", "dep"))
         .withColumn("dep", norm_id(F.col("dep")))
         .join(ids, ["conv_id", "dep"])
         .groupBy("conv_id", "patch_id")
-        .agg(F.min(F.struct("pos", "dep")).alias("m"))
-        .select("conv_id", "patch_id", F.col("m.dep").alias("parent_id"))
+        .agg(F.min(F.struct("pos", "named")).alias("m"))
+        .select("conv_id", "patch_id", F.col("m.named").alias("parent_id"))
     )
     return rows.select("conv_id", "patch_id").join(first, ["conv_id", "patch_id"], "left")
 

@@ -89,3 +89,11 @@ def test_dependents_include_the_circle(patches_of, block):
     got = [tuple(r) for r in hierarchy.descendants(tree).collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(c, a, p, n) for c in (1, 2) for (a, p), n in want.items()}
+
+
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_odd_spelling_of_patch_ids(patches_of, block):
+    rows = [{"patch_id": p, "dependencies": d} for p, d in ((" P1", None), ("p2", ["p1"]), ("P3 ", ["P2"]), ("p4", ["p3"]), ("p5", ["p4"]))]
+    df = patches_of(rows)
+    assert {tuple(r) for r in hierarchy.found(df, block).collect()} == {(1, p, " P1") for p in ("p2", "P3 ", "p4", "p5")}
+    assert {(r.patch_id, r.depth) for r in hierarchy.hierarchy(df, block).collect()} == {(" P1", 0), ("p2", 1), ("P3 ", 2), ("p4", 3), ("p5", 4)}
