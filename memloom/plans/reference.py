@@ -693,10 +693,10 @@ def memory_stream(spark: SparkSession, d: str) -> DataFrame:
     """The stream of memory rows merged to its end: what it keeps equals merge_memory."""
     import uuid
 
-    from memloom.streaming.memory_stream import kept_rows, merge_stream
+    from memloom.streaming.memory_stream import COLUMNS, kept_rows, merge_stream
 
     base = f"{scratch_dir(spark)}/memloom-stream-{uuid.uuid4().hex}"
-    rows = mem(spark, d)
+    rows = mem(spark, d).select(*COLUMNS)
     rows.write.parquet(f"{base}/in")
     stream = merge_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
     q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

@@ -87,6 +87,26 @@ def test_stream_equals_batch(spark, patches_of, tmp_path):
     assert kept == {(r.conv_id, r.row_id) for r in memory.merge_memory(m).where("kept").collect()}
 
 
+def test_stream_cells(spark, patches_of, tmp_path):
+    m = memory.memory_rows(patches_of([r | {"conv_id": (1 << 60) + r["conv_id"]} for r in random_patches(8, 120)]))
+    assert m.selectExpr("count(DISTINCT conv_id, substring_index(slot_key, '::', -1))").first()[0] > 6
+
+    def run(cells):
+        stream = merge_stream(spark.readStream.schema(m.schema).parquet(str(tmp_path / "in")), cells=cells)
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    for part in range(3):  # groups share a cell and come back in later batches
+        m.where(f"turn_index >= {part * 4} AND turn_index < {part * 4 + 4}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        assert run(3) <= 3
+    kept = {(r.conv_id, r.row_id) for r in kept_rows(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    assert kept == {(r.conv_id, r.row_id) for r in memory.merge_memory(m).where("kept").collect()}
+    m.limit(5).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="made with 3 cells"):
+        run(1)
+
+
 def test_conversation_memory(spark, tmp_path):
     def reply(*items):
         return json.dumps([{"type": t, "payload": p, "patch_id": "x"} for t, p in items])
